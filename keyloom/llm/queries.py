@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, sharding, toxicity
+from . import bpe, chat, decontam, langid, linededup, sharding, toxicity, warc
 from ._shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark, _table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -84,9 +89,15 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op7_chat": op7_chat,
     "op9_line_dedup": op9_line_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM p LEFT JOIN k USING (h)""",
     "op2_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
