@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, langid, linededup, sharding, toxicity, warc
+from . import ann, bpe, chat, decontam, langid, linededup, sharding, simhash, toxicity, warc
 from ._shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(chat.maximal_turns(_table(spark, sf_dir, "conversations")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_dropped, n_chars and sha256 of each text without its repeated lines."""
     done = linededup.drop_lines(_table(spark, sf_dir, "documents"))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op5_language": op5_language,
     "op6_sharding": op6_sharding,
     "op7_chat": op7_chat,
+    "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
