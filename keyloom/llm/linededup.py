@@ -45,18 +45,18 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return gone.groupBy("text_id").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, the texts without their repeated lines, and n_dropped, their number.
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dropped: str | None = "n_dropped") -> DataFrame:
+    """All rows and columns, the texts without their repeated lines, and their number as `dropped` (None: not added; a column of that name is replaced).
 
     The first text of a template is that with the smallest key (null keys last). Lines end at a line feed. Null texts stay
     null; a text all of whose lines go becomes empty; texts without repeated lines stay as they are, byte for byte.
     Lines of fewer than MIN_CONSTANT constant tokens have no template. Repeated rows are treated alike.
     """
-    gone = repeated_lines(docs, key, text).withColumnRenamed("text_id", "__text_id")
+    gone = repeated_lines(docs, key, text).select(F.col("text_id").alias("__text_id"), F.col("lines").alias("__lines"))
     joined = docs.withColumn("__id", F.xxhash64(text)).join(gone, F.col("__id") == F.col("__text_id"), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
     rest = F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i)))
-    has = F.col("lines").isNotNull() & F.col(text).isNotNull()
-    out = [F.when(has, rest).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_dropped"]
-    return joined.select(*out, F.when(has, F.size("lines")).otherwise(0).cast("long").alias("n_dropped"))
+    has = F.col("__lines").isNotNull() & F.col(text).isNotNull()
+    out = [F.when(has, rest).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != dropped]
+    return joined.select(*out, *([F.when(has, F.size("__lines")).otherwise(0).cast("long").alias(dropped)] if dropped else []))

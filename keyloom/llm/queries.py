@@ -23,9 +23,8 @@ def fold(key: str | Column, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % folds
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learned from the labelled documents outside fold 0 of 5; the curve from fold 4."""
-    docs, labels = (_table(spark, sf_dir, x) for x in ("documents", "labels"))
     labelled = docs.select("doc_id", "text").where(fold("doc_id", 5) != 0).join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id")
     return toxicity.fit(labelled, tune=fold("doc_id", 5) == 4)
 
@@ -33,7 +32,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    return toxicity.score(docs, toxicity_model(spark, sf_dir), keep=("doc_id", held))
+    return toxicity.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")), keep=("doc_id", held))
 
 
 def encoded(docs: DataFrame) -> DataFrame:
