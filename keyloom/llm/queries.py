@@ -25,7 +25,7 @@ def fold(key: str | Column, folds: int) -> Column:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learned from the labelled documents outside fold 0 of 5; the curve from fold 4."""
-    labelled = docs.select("doc_id", "text").where(fold("doc_id", 5) != 0).join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id")
+    labelled = toxicity.with_labels(docs, labels.where(fold("doc_id", 5) != 0))
     return toxicity.fit(labelled, tune=fold("doc_id", 5) == 4)
 
 

@@ -9,7 +9,7 @@ once. An expression too rare for its counts in the two classes to differ beyond
 class's mix of languages outweigh the few telling words. A logistic curve, fitted on labelled texts that the counts
 haven't seen, makes a score of 0 to 1 of the mean.
 
-Counting is done in Spark over every labelled training text. Words are hashed into 2**WORD_BITS slots and kept bigrams
+Counting is done in Spark over every training text: all labelled ones up to LABELLED of them. Words are hashed into 2**WORD_BITS slots and kept bigrams
 into 2**PAIR_BITS slots (the most frequent of a slot stays; the others back off), so the broadcast model has a fixed
 size of 4 * 2**WORD_BITS + 12 * 2**PAIR_BITS bytes, whatever the corpus.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ._text import mix64, segment_sums, word_hashes
 
 WORD_BITS, PAIR_BITS = 20, 19
+#: Labelled texts that a model is fitted on at most; beyond it, a sample of them by the hash of their keys.
+LABELLED = 200_000
 #: Twice the log-likelihood ratio that chance alone exceeds once in 1000 expressions.
 BEYOND_CHANCE = 10.83
 _START = 0  # the slot before a text's first word
@@ -173,6 +175,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(b[0] / scale), float(b[1])
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = LABELLED) -> DataFrame:
+    """key, text and label of the documents that have one: of all, or, if there are over `most` labels, of a sample of nearly that many.
+
+    The labels that are used, 16 bytes each, are broadcast once they have been counted to be within `most`, so texts stay
+    where they are. A document labelled twice counts twice.
+    """
+    known = labels.select(F.col(key).alias(key), F.col(toxic).alias(toxic)).where(F.col(key).isNotNull() & F.col(toxic).isNotNull())
+    n = known.count()
+    if n > most:
+        share = int(0.95 * most / n * 2**32)
+        known = known.where(F.pmod(F.xxhash64(key), F.lit(2**32)) < share)
+        n = known.count()
+    return docs.select(key, text).join(F.broadcast(known) if n <= most else known, key)
+
+
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", tune: Column | None = None, discount: float = 0.75) -> ToxicityModel:
     """Learns from all rows with a text and a label 0 or 1. `tune` says which rows fit the curve instead of the counts.
 
