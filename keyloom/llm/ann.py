@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._shared import checkpointed
+from .sharding import lookup_array
 
 TABLES, DIMS, BITS, BLOCKS, TOP = 10, 8, 7, 20, 20
 CHUNK, QUERIES = 4096, 1024
@@ -167,19 +168,21 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     queries = points.join(asking.select("point").distinct(), "point", "left_semi").select("point", F.array().cast("array<bigint>").alias("ids"), "v")
 
     have = checkpointed(_keyed(points.select("point", "ids", "v"), curves, False))
-    cuts = {r.tab: r.q for r in have.groupBy("tab").agg(F.percentile_approx("key", [k / BLOCKS for k in range(1, BLOCKS)], 10_000).alias("q")).collect()}
-    bounds = F.array(*(F.array(*(F.lit(x) for x in cuts[t])) for t in range(TABLES)))
+    # with few points fewer ranges, so that three of them always hold TOP others
+    blocks = max(1, min(BLOCKS, points.count() // (4 * TOP)))
+    cuts = {r.tab: r.q for r in have.groupBy("tab").agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)] or [0.0], 10_000).alias("q")).collect()}
+    bounds = lookup_array([cuts[t] if blocks > 1 else [] for t in range(TABLES)], "array<array<bigint>>")
     block = F.size(F.filter(F.get(bounds, F.col("tab")), lambda c: c <= F.col("key")))
     have = have.withColumn("block", block)
-    ask = _keyed(queries, curves, True).withColumn("own", block).withColumn("block", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.least(F.col("own") + 1, F.lit(BLOCKS - 1)))))
+    ask = _keyed(queries, curves, True).withColumn("own", block).withColumn("block", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.least(F.col("own") + 1, F.lit(blocks - 1)))))
     ask = checkpointed(ask.drop("own"))
-    # how many chunks each range is dealt to: at most TABLES * BLOCKS numbers
+    # how many chunks each range is dealt to: at most TABLES * blocks numbers
     many = {(r.tab, r.block): r.n for r in have.groupBy("tab", "block").count().withColumnRenamed("count", "n").collect()}
     asked = {(r.tab, r.block): r.n for r in ask.groupBy("tab", "block").count().withColumnRenamed("count", "n").collect()}
 
     def parts(counts: dict, size: int) -> Column:
-        flat = F.array(*(F.lit(max(1, -(-counts.get((t, b), 0) // size))) for t in range(TABLES) for b in range(BLOCKS)))
-        return F.get(flat, F.col("tab") * BLOCKS + F.col("block"))
+        flat = F.array(*(F.lit(max(1, -(-counts.get((t, b), 0) // size))) for t in range(TABLES) for b in range(blocks)))
+        return F.get(flat, F.col("tab") * blocks + F.col("block"))
 
     own, every = (lambda n: F.pmod(F.xxhash64("point"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
     chunks, groups = parts(many, CHUNK), parts(asked, QUERIES)
