@@ -100,3 +100,12 @@ def test_http(inspect, capsys):
         assert '"ID": 2' in capsys.readouterr().out
     finally:
         server.shutdown()
+
+
+def test_serializers(spark):
+    from keyloom.functions.serializers import deserialized, serialized
+
+    df = spark.createDataFrame([(1, "a", [1, 2], None), (2, None, [], 0.5)], "id bigint, s string, n array<bigint>, d double")
+    packed = serialized(df, ["id"])
+    assert packed.columns == ["id", "value"]
+    assert sorted(deserialized(packed, df.schema).collect()) == sorted(df.collect())
