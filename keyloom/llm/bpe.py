@@ -13,6 +13,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 REMEMBERED = 500_000
 #: New pieces replayed together at most.
 TOGETHER = 200_000
+#: Code points beyond which a text isn't split all at once.
+LONG = 1 << 20
 
 
 class MergeReplay:
@@ -31,7 +34,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.token = {i: b for b, i in ranks.items()}
         self.base = [ranks[bytes([b])] for b in range(256)]
         self.bits = max(ranks.values()).bit_length()
@@ -111,9 +114,7 @@ class MergeReplay:
             for s, ids in zip(part, self.replay([s.encode("utf-8", "surrogatepass") for s in part]), strict=True):
                 self.known[s] = np.array(ids, "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(t) if t else [] for t in texts]
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
         distinct: set[str] = set()
         for pieces in split:
             distinct.update(pieces)
@@ -130,6 +131,17 @@ class MergeReplay:
         self._learn(new)
         return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
+    def _encode_long(self, text: str) -> bytes:
+        found, out = (m[0] for m in self.pattern.finditer(text)), []
+        while pieces := list(islice(found, TOGETHER)):
+            out += self._ids([pieces])
+        return b"".join(out)
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. Long texts are taken a part at a time."""
+        out = self._ids([self.pattern.findall(t) if t and len(t) <= LONG else [] for t in texts])
+        return [self._encode_long(t) if t and len(t) > LONG else x for t, x in zip(texts, out, strict=True)]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

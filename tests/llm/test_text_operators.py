@@ -86,7 +86,9 @@ def test_bpe_equals_the_library(coder, reference, text):
 
 def test_bpe_repeats_and_forgetting(coder, reference, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    texts = ["a" * 3000, " " * 2000 + "x", "ab" * 1500, "thing" * 700, None, "", "\n" * 999, "<|endoftext|>"]
+    monkeypatch.setattr(bpe, "TOGETHER", 7)
+    monkeypatch.setattr(bpe, "LONG", 1000)
+    texts = ["some words " * 300, "a" * 3000, " " * 2000 + "x", "ab" * 1500, "thing" * 700, None, "", "\n" * 999, "<|endoftext|>"]
     for _ in range(2):
         assert coder.encode_batch(texts) == [as_ids(reference, t or "") for t in texts]
 
