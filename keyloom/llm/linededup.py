@@ -13,32 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 LEAD, LONG, MIN_TEXTS, MIN_CONSTANT = 3, 9, 3, 3
 _VARIABLE = "<*>"
 
 
 def _keys(t: str) -> Column:
-    """The template keys of a line with tokens t: one, or with one span left out each."""
+    """The template keys of a line with tokens t: one, or with one span left out each. Every token is hashed once."""
     tokens, n = F.col(t), F.size(t)
     third = ((n - LEAD) / 3).cast("int")
     cut = [F.lit(LEAD), LEAD + third, LEAD + 2 * third, n]
-    whole = F.array(F.xxhash64(n, F.lit(0), F.concat_ws(" ", tokens)))
-    one_out = [F.xxhash64(n, F.lit(j + 1), F.concat_ws(" ", F.slice(tokens, F.lit(1), cut[j]), F.slice(tokens, cut[j + 1] + 1, n - cut[j + 1]))) for j in range(3)]
+    whole = F.array(F.xxhash64(n, F.lit(0), tokens))
+    lead = F.xxhash64(F.slice(tokens, 1, LEAD))
+    spans = [F.xxhash64(F.slice(tokens, cut[j] + 1, cut[j + 1] - cut[j])) for j in range(3)]
+    one_out = [F.xxhash64(n, F.lit(j + 1), lead, *(spans[i] for i in range(3) if i != j)) for j in range(3)]
     return F.when(n < LONG, whole).otherwise(F.array(*one_out))
 
 
 def line_templates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """text_id, key, line (its number) and template of every line with MIN_CONSTANT constant tokens or more."""
     lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("text_id"), F.posexplode(F.split(text, "\n", -1)).alias("line", "x"))
-    tokens = F.expr("array_remove(split(regexp_replace(x, '[^ \\\\t\\\\r]*[0-9][^ \\\\t\\\\r]*', '<*>'), '[ \\\\t\\\\r]+', -1), '')")
-    parsed = lines.where(F.length("x") > 2 * MIN_CONSTANT - 2).withColumn("t", tokens).where(F.size("t") >= MIN_CONSTANT)
-    constant = F.size("t") - F.size(F.filter("t", lambda v: v == _VARIABLE))
+    x = F.col("x")
+    # most lines have no digits and only blanks between tokens: those skip the slower expressions
+    blank = F.when(x.contains("\t") | x.contains("\r"), F.translate(x, "\t\r", "  ")).otherwise(x)
+    plain = F.when(blank.rlike("[0-9]"), F.regexp_replace(blank, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", _VARIABLE)).otherwise(blank)
+    parsed = lines.where(F.length("x") > 2 * MIN_CONSTANT - 2).withColumn("x", plain).withColumn("t", F.array_remove(F.split("x", " ", -1), "")).where(F.size("t") >= MIN_CONSTANT)
+    constant = F.when(F.col("x").contains(_VARIABLE), F.size(F.array_remove("t", _VARIABLE))).otherwise(F.size("t"))
     return parsed.where(constant >= MIN_CONSTANT).select("text_id", "key", "line", F.explode(_keys("t")).alias("template"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """text_id (xxhash64 of a text) and lines: the numbers of its lines that go."""
-    found = line_templates(docs, key, text)
+    found = written(line_templates(docs, key, text), "line-templates")
     texts = found.groupBy("template", "text_id").agg(F.min("key").alias("key"))
     recurring = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull().alias("last"), "key", "text_id")).alias("first")).where(F.col("n") >= MIN_TEXTS)
     gone = found.select("template", "text_id", "line").join(recurring.select("template", F.col("first.text_id").alias("keeper")), "template").where("text_id != keeper")
