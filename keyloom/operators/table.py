@@ -45,38 +45,48 @@ class Table:
 
     # reads
 
-    def df(self, batch: Batch | None = None) -> DataFrame:
-        """The rows as last committed, and as a readable batch leaves them."""
-        base = self.catalog.load(self.name) if self.catalog is not None else self._source
+    def df(self, batch: Batch | None = None, keys: list[dict] | None = None) -> DataFrame:
+        """The rows as last committed, and as a readable batch leaves them. With keys, maybe only the buckets that can hold those."""
+        if self.catalog is None:
+            base = self._source
+        else:
+            base = self.catalog.load(self.name, buckets=None if keys is None else self._buckets(self._key_frame(keys)))
         if batch is None:
             return base
         if not batch.readable:
             raise ValueError("the batch is write-only; reads need a readable one")
         return batch.overlay(self.name, base, self._pk)
 
+    def _key_frame(self, records: Iterable[dict | Row]) -> DataFrame:
+        kinds = ", ".join(f"`{c}` {self.definition.schema[c].dataType.simpleString()}" for c in self._pk)
+        return self.catalog.spark.createDataFrame([tuple(r[c] for c in self._pk) for r in records], kinds)
+
+    def _buckets(self, keys: DataFrame) -> list[int]:
+        """The hash buckets of these keys: at most as many numbers as the table has buckets."""
+        return sorted(r.b for r in keys.select(self.catalog.bucket(self.definition).alias("b")).distinct().collect())
+
     def query(self) -> Query:
         return Query(self.definition, self.df)
 
     def get(self, selector: Selector, batch: Batch | None = None) -> DataFrame:
         """By primary key. A point must exist, else NotFound; points give a row per point, in their order, null where none is; ranges as in scans."""
-        df = self.df(batch)
         if isinstance(selector, Point):
-            found = self._exactly(df, selector.record)
+            found = self._exactly(self.df(batch, [selector.record]), selector.record)
             if found.isEmpty():
                 raise NotFound("record not found")
             return found
         if isinstance(selector, Points):
-            return self._positional(df, selector)
+            return self._positional(self.df(batch, list(selector.records)), selector)
         return self.query().with_(None, selector).to_df(batch)
 
     def get_point(self, record: dict, batch: Batch | None = None) -> Row:
-        row = self._exactly(self.df(batch), record).head()
+        row = self._exactly(self.df(batch, [record]), record).head()
         if row is None:
             raise NotFound("record not found")
         return row
 
     def exist(self, record: dict, batch: Batch | None = None) -> bool:
-        return not self._exactly(self.df(batch), record).isEmpty()
+        return not self._exactly(self.df(batch, [record]), record).isEmpty()
 
     def exist_flags(self, keys: DataFrame, batch: Batch | None = None) -> DataFrame:
         """keys with a column exists: one join instead of many probes."""
@@ -151,8 +161,9 @@ class Table:
             if own:
                 batch.commit()
 
-    def _now(self, batch: Batch) -> DataFrame:
-        return batch.overlay(self.name, self.catalog.load(self.name), self._pk)
+    def _now(self, batch: Batch, keys: DataFrame) -> DataFrame:
+        """The buckets of these keys, as the batch leaves them."""
+        return batch.overlay(self.name, self.catalog.load(self.name, buckets=self._buckets(keys)), self._pk)
 
     def insert(self, rows: Rows, batch: Batch | None = None) -> None:
         """New rows; AlreadyExists if a key is in the table or comes twice, and then nothing is written."""
@@ -160,7 +171,7 @@ class Table:
         def step(b: Batch) -> Step:
             new = self._staged(rows).drop(merge.SEQ)
             twice = new.groupBy(*self._pk).count().filter("count > 1").select(*self._pk)
-            there = new.join(self._now(b).select(*self._pk), self._pk, "left_semi").select(*self._pk)
+            there = new.join(self._now(b, new).select(*self._pk), self._pk, "left_semi").select(*self._pk)
             if (bad := twice.unionByName(there).head()) is not None:
                 raise AlreadyExists(f"record {bad.asDict()} already exist")
             return Step(self.name, new.select(*self._pk), new, True)
@@ -172,7 +183,7 @@ class Table:
 
         def step(b: Batch) -> Step:
             new = merge.last_wins(self._staged(rows), self._pk)
-            if (bad := merge.without(new.select(*self._pk), self._now(b), self._pk).head()) is not None:
+            if (bad := merge.without(new.select(*self._pk), self._now(b, new), self._pk).head()) is not None:
                 raise NotFound(f"record {bad.asDict()} not found")
             return Step(self.name, new.select(*self._pk), new, False)
 
@@ -182,7 +193,8 @@ class Table:
         """Inserts, or merges with what is stored; rows with one key are merged one after the other."""
 
         def step(b: Batch) -> Step:
-            new = merge.upserted(self._now(b), self._staged(rows), self._pk, on_conflict)
+            given = self._staged(rows)
+            new = merge.upserted(self._now(b, given), given, self._pk, on_conflict)
             return Step(self.name, new.select(*self._pk), new, False)
 
         self._run(batch, step)
@@ -194,8 +206,7 @@ class Table:
             if isinstance(rows, DataFrame):
                 keys = rows.select(*self._pk)
             else:
-                kinds = ", ".join(f"`{c}` {self.definition.schema[c].dataType.simpleString()}" for c in self._pk)
-                keys = self.catalog.spark.createDataFrame([tuple((r.asDict() if isinstance(r, Row) else r)[c] for c in self._pk) for r in rows], kinds)
+                keys = self._key_frame(rows)
             return Step(self.name, keys.distinct(), None, False)
 
         self._run(batch, step)

@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
 
 
 def numbered(df: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("long"))
 
 
 QUERIES: dict[str, QueryFn] = {}

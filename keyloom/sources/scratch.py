@@ -12,7 +12,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which all machines share; under this machine's temporary folder only in local mode."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         there = tempfile.mkdtemp(prefix="keyloom-")
     return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
