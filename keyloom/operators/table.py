@@ -12,6 +12,7 @@ from ..plans.query import Query
 from ..plans.schema import IndexDef, TableDef
 from ..plans.selector import Point, Points, Range, Ranges, Selector
 from ..sources.catalog import Catalog
+from ..sources.frames import local_frame
 from . import merge
 from .batch import Batch, Step
 
@@ -58,8 +59,7 @@ class Table:
         return batch.overlay(self.name, base, self._pk)
 
     def _key_frame(self, records: Iterable[dict | Row]) -> DataFrame:
-        kinds = ", ".join(f"`{c}` {self.definition.schema[c].dataType.simpleString()}" for c in self._pk)
-        return self.catalog.spark.createDataFrame([tuple(r[c] for c in self._pk) for r in records], kinds)
+        return local_frame(self.catalog.spark, [tuple(r[c] for c in self._pk) for r in records], StructType([self.definition.schema[c] for c in self._pk]))
 
     def _buckets(self, keys: DataFrame) -> list[int]:
         """The hash buckets of these keys: at most as many numbers as the table has buckets."""
@@ -99,9 +99,8 @@ class Table:
         return df
 
     def _positional(self, df: DataFrame, points: Points) -> DataFrame:
-        kinds = ", ".join(f"`{c}` {self.definition.schema[c].dataType.simpleString()}" for c in self._pk)
-        asked = df.sparkSession.createDataFrame([(k, *(r[c] for c in self._pk)) for k, r in enumerate(points.records)], f"__at int, {kinds}")
-        asked = asked.select("__at", *(F.col(c).alias(f"__{c}") for c in self._pk))
+        kinds = StructType([StructField("__at", LongType()), *(StructField(f"__{c}", self.definition.schema[c].dataType) for c in self._pk)])
+        asked = local_frame(df.sparkSession, [(k, *(r[c] for c in self._pk)) for k, r in enumerate(points.records)], kinds)
         on = [F.col(c) == F.col(f"__{c}") for c in self._pk]
         return (F.broadcast(asked) if len(points.records) <= 10_000 else asked).join(df, on, "left").orderBy("__at").select(*df.columns)
 
@@ -149,7 +148,7 @@ class Table:
         for k, r in enumerate(rows):
             r = r.asDict() if isinstance(r, Row) else r
             listed.append((*((r.get(c) for c in names) if isinstance(r, dict) else r), k))
-        return spark.createDataFrame(listed, StructType([*self.definition.schema.fields, StructField(merge.SEQ, LongType())]))
+        return local_frame(spark, listed, StructType([*self.definition.schema.fields, StructField(merge.SEQ, LongType())]))
 
     def _run(self, batch: Batch | None, step: Callable[[Batch], Step]) -> None:
         if self.catalog is None:

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.frames import local_frame
 from .schema import MISSING, IndexDef, Part, TableDef
 
 
@@ -183,11 +185,11 @@ def _join_points(table: TableDef, index: IndexDef | None, selector: Points, entr
         return None
     given = [p for p, there in zip(parts, next(iter(shapes)), strict=True) if there]
     names = list(dict.fromkeys(p.names[0] for p in given))
-    kinds = {f.name: f.dataType.simpleString() for f in entries.schema.fields}
+    kinds = {f.name: f.dataType for f in entries.schema.fields}
     if any(c not in kinds for c in names):
         return None
     rows = [(k, *(r[c] for c in names)) for k, r in enumerate(selector.records)]
-    points = entries.sparkSession.createDataFrame(rows, f"{SEGMENT} int, " + ", ".join(f"`__p_{c}` {kinds[c]}" for c in names))
+    points = local_frame(entries.sparkSession, rows, StructType([StructField(SEGMENT, IntegerType()), *(StructField(f"__p_{c}", kinds[c]) for c in names)]))
 
     def value(p: Part):
         return F.col(f"__p_{p.names[0]}") if p in given else MISSING
