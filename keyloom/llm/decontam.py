@@ -16,6 +16,8 @@ from ._shared import checkpointed
 from .sharding import lookup_array
 
 WINDOW, BITS = 10, 20
+#: Document words that may be prefix tokens are dealt to so many salts, windows repeated for each: a passage that many documents share doesn't meet in one task.
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -80,7 +82,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     start = F.col("pos") - F.col("offset")
     bounded = (start >= 1) & (start + F.size("window") - 1 <= F.col("n_words"))
     same = F.slice("near", F.when(bounded, start - F.col("first") + 1).otherwise(1), F.size("window")) == F.col("window")
-    hits = found.where("pos > 0").join(necessary, "word").where(bounded & same).select("key", "text_id", start.alias("s"), (start + F.size("window")).alias("e"), "id", "window").distinct()
+    dealt = found.where("pos > 0").withColumn("salt", F.pmod(F.xxhash64("text_id", "pos"), F.lit(SALTS)).cast("int"))
+    salted = necessary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = dealt.join(salted, ["word", "salt"]).where(bounded & same).select("key", "text_id", start.alias("s"), (start + F.size("window")).alias("e"), "id", "window").distinct()
     hits = checkpointed(hits)
     doc = ["key", "text_id"]
     before = F.max("e").over(Window.partitionBy(*doc).orderBy("s", "e", "id").rowsBetween(Window.unboundedPreceding, -1))
