@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not there:
-        if not sc.master.startswith("local["):
+        if sc.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         there = tempfile.mkdtemp(prefix="keyloom-")
         sc.setCheckpointDir(there)

@@ -3,21 +3,23 @@
 Every text becomes the set of its five-word shingles and that a signature of 256 bits. Equal sets are collapsed first.
 Each of TABLES tables groups the remaining signatures by 16 sampled coordinates; a bucket of over CAP members is cut by
 additional sampled bits, as many as its size asks for, and all its members are also held against its first one, so a
-large group of near copies stays together. Inside a bucket signatures are compared: below SURE bits apart they are
-linked; up to MAYBE the link is kept if the shingle sets themselves, read again, are similar enough. Classes are the
-connected components of the links.
+large group of near copies stays together. Inside a bucket signatures are compared, and its closest pairs proposed: up to
+SURE bits apart they are linked; up to MAYBE the link is kept if the shingle sets themselves, read again, are similar
+enough. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._shared import checkpointed
+from ._shared import checkpointed, written
 from ._text import mix64, word_hashes
 from .graph import components
 
@@ -25,6 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 TABLES, FIRST_BITS, MORE_BITS, CAP = 32, 16, 24, 1024
 #: Of 256 bits. A similarity of 0.8 makes 39 of them differ, give or take 6; 0.9 makes 27.
 SURE, MAYBE = 20, 54
+#: Links that each member of a bucket proposes, besides a spanning forest.
+NEAREST = 2
 #: Hot buckets are joined by broadcast up to so many, else by a shuffle.
 FEW = 10_000
 _SIG = ["s0", "s1", "s2", "s3"]
@@ -68,14 +72,17 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.Reco
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _slices(batches):
-        sets = shingle_sets(part.column(1).to_pylist())
+        texts = part.column(1).to_pylist()
+        sets = shingle_sets(texts)
         sig = np.zeros((len(sets), 4), np.uint64)
         ident = np.zeros((len(sets), 2), np.uint64)
         for i, s in enumerate(sets):
             if len(s):
                 sig[i] = signature(s)
                 ident[i] = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ _SALTS[0]))
-        cols = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(np.concatenate([ident, sig], 1).T))]
+            elif texts[i] is not None:  # without words: the text itself
+                ident[i] = np.frombuffer(hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()[:16], np.uint64)
+        cols = [pa.array([-1 if t is None else len(s) for t, s in zip(texts, sets, strict=True)], pa.int64()), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(np.concatenate([ident, sig], 1).T))]
         yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "n", "e0", "e1", *_SIG])
 
 
@@ -95,33 +102,28 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _link_group(rep: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A spanning forest of the sure links, and of each two of its trees the closest pair, if that may be a link."""
+def _link_group(rep: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: a minimum spanning forest of its distances up to MAYBE, and each member's NEAREST others: a few links a member, not all pairs."""
     n = len(rep)
-    tree = np.full(n, -1)
-    for i in range(n):
-        if tree[i] >= 0:
-            continue
-        tree[i], front = i, [i]
-        while front:
-            at = front.pop()
-            rest = np.flatnonzero(tree < 0)
-            d = _apart(sig[rest], sig[at])
-            new = rest[d <= SURE]
-            if len(new):
-                tree[new] = i
-                front += new.tolist()
-                yield rep[new], np.full(len(new), rep[at]), d[d <= SURE]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for i in range(n):
-        d = _apart(sig[i + 1 :], sig[i])
-        for j in np.flatnonzero((d <= MAYBE) & (tree[i + 1 :] != tree[i])):
-            k = (min(tree[i], tree[i + 1 + j]), max(tree[i], tree[i + 1 + j]))
-            if k not in best or d[j] < best[k][0]:
-                best[k] = (int(d[j]), i, i + 1 + int(j))
-    if best:
-        d, i, j = (np.array(x) for x in zip(*best.values(), strict=True))
-        yield rep[i], rep[j], d
+    far = MAYBE + 1
+    gap, parent, waiting = np.full(n, far), np.full(n, -1), np.ones(n, bool)
+    i, edges = 0, []
+    for _ in range(n):
+        waiting[i] = False
+        d = _apart(sig, sig[i])
+        d[i] = far
+        near = np.argpartition(d, NEAREST)[:NEAREST] if n > NEAREST else np.arange(n)
+        edges += [(i, int(j), int(d[j])) for j in near if d[j] <= MAYBE]
+        closer = waiting & (d < gap)
+        gap[closer], parent[closer] = d[closer], i
+        left = np.flatnonzero(waiting)
+        if not len(left):
+            break
+        i = int(left[np.argmin(gap[left])])
+        if gap[i] <= MAYBE:
+            edges.append((i, int(parent[i]), int(gap[i])))
+    x = np.array(edges, np.int64).reshape(-1, 3)
+    return rep[x[:, 0]], rep[x[:, 1]], x[:, 2]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = d <= MAYBE
                 found.append((rep[i[near]], rep[i[near] + step], d[near]))
         for at, k in zip(begin[n > small], n[n > small], strict=True):
-            found += _link_group(rep[at : at + k], sig[at : at + k])
+            for c in range(at, at + k, 8 * CAP):  # larger only where all sampled bits agree; the bucket's first member then ties its parts
+                part = slice(c, min(c + 8 * CAP, at + k))
+                found.append(_link_group(rep[part], sig[part]))
         if found:
             a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "d"])
@@ -176,8 +180,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
 
 
-def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the links between representatives. signed: rep and signature; texts: id and x, the text of each representative."""
+def candidates(signed: DataFrame) -> DataFrame:
+    """a < b and d: pairs of representatives up to MAYBE bits apart, a number of them that follows the rows'. signed: rep and signature."""
     rows = signed.select("rep", *_SIG).mapInArrow(_bucketed, "bucket bigint, more bigint, rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     hot = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > CAP))
     few = hot.limit(FEW + 1).count() <= FEW
@@ -194,16 +198,32 @@ def links(signed: DataFrame, texts: DataFrame) -> DataFrame:
     pivot = own.groupBy("bucket").agg(F.min(F.struct("rep", *_SIG)).alias("p"))
     held = own.join(near(pivot), "bucket").where(F.col("rep") != F.col("p.rep"))
     held = held.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), _distance([F.col(x) for x in _SIG], [F.col(f"p.{x}") for x in _SIG]).cast("bigint").alias("d")).where(F.col("d") <= MAYBE)
-    found = checkpointed(inside.unionByName(held).groupBy("a", "b").agg(F.min("d").alias("d")))
+    return inside.unionByName(held).groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def roots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and root of every representative that is linked. texts: id and x, the text of each representative.
 
-    sure = found.where(F.col("d") <= SURE).select("a", "b")
-    maybe = found.where(F.col("d") > SURE).select("a", "b")
-    named = maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(texts.join(named, "id", "left_semi").select("id", "x").dropDuplicates(["id"]).mapInArrow(_sets, "id bigint, shingles array<int>"))
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
+    Of the pairs that aren't sure, each member's closest is verified first. The others need it only where that hasn't made
+    one class of their members, so the texts of a large group are hardly compared beyond its first links.
+    """
+    pairs = written(pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))), "pairs")
+    unsure = pairs.where(F.col("d") > SURE)
+    named = unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(texts.join(named.hint("merge"), "id", "left_semi").select("id", "x").dropDuplicates(["id"]).mapInArrow(_sets, "id bigint, shingles array<int>"), "shingles")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    kept = maybe.join(left, "a").join(right, "b").where(both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
-    return sure.unionByName(kept)
+    similar = both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both)
+
+    def verified(some: DataFrame) -> DataFrame:
+        of = [sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab"]
+        return some.select("a", "b").join(of[0], "a").join(of[1], "b").where(similar).select("a", "b")
+
+    links = written(pairs.where(F.col("d") <= SURE).select("a", "b").unionByName(verified(unsure.where("k = 1"))), "links")
+    found = components(links)
+    of = [found.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab"]
+    apart = unsure.where("k > 1").join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = written(verified(apart), "links")
+    return found if more.isEmpty() else components(links.unionByName(more))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,15 +235,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("x"))
     signed = rows.mapInArrow(_signed, "key bigint, n bigint, e0 bigint, e1 bigint, " + ", ".join(f"{s} bigint" for s in _SIG))
     signed = checkpointed(signed)
-    wordless = rows.where("key IS NOT NULL AND x IS NOT NULL").join(signed.where("n = 0 AND key IS NOT NULL").select("key").distinct(), "key", "left_semi")
-    equal_texts = wordless.groupBy(F.sha2(F.col("x").cast("binary"), 256).alias("e")).agg(F.min("key").alias("rep"))
-    alike = wordless.select("key", F.sha2(F.col("x").cast("binary"), 256).alias("e")).join(equal_texts, "e").select("key", "rep")
-    reps = checkpointed(signed.where("n > 0 AND key IS NOT NULL").groupBy("n", "e0", "e1").agg(F.min("key").alias("rep"), *(F.first(s).alias(s) for s in _SIG)))
-    members = signed.where("n > 0 AND key IS NOT NULL").select("key", "n", "e0", "e1").join(reps.select("n", "e0", "e1", "rep"), ["n", "e0", "e1"]).select("key", "rep")
-    near = components(links(reps, rows.select(F.col("key").alias("id"), "x")))
-    of = members.unionByName(alike).groupBy("key").agg(F.min("rep").alias("rep"))
+    with_text = signed.where("n >= 0 AND key IS NOT NULL")
+    reps = checkpointed(with_text.groupBy("n", "e0", "e1").agg(F.min("key").alias("rep"), *(F.first(s).alias(s) for s in _SIG)))
+    members = with_text.select("key", "n", "e0", "e1").join(reps.select("n", "e0", "e1", "rep"), ["n", "e0", "e1"]).select("key", "rep")
+    near = roots(candidates(reps.where("n > 0")), rows.select(F.col("key").alias("id"), "x"))
+    of = members.groupBy("key").agg(F.min("rep").alias("rep"))
     of = of.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("class_id"))
-    return signed.join(of, F.col("key") == F.col("k"), "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.col("n").alias("n_shingles"))
+    return signed.join(of, F.col("key") == F.col("k"), "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.greatest("n", F.lit(0).cast("long")).alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
