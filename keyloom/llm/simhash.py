@@ -5,7 +5,8 @@ Each of TABLES tables groups the remaining signatures by 16 sampled coordinates;
 additional sampled bits, as many as its size asks for, and all its members are also held against its first one, so a
 large group of near copies stays together. Inside a bucket signatures are compared, and its closest pairs proposed: up to
 SURE bits apart they are linked; up to MAYBE the link is kept if the shingle sets themselves, read again, are similar
-enough. Classes are the connected components of the links.
+enough. Then every other pair of a bucket up to MAYBE is settled too whose members aren't yet in one component, so that
+none is lost because closer pairs failed. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 TABLES, FIRST_BITS, MORE_BITS, CAP = 32, 16, 24, 1024
 #: Of 256 bits. A similarity of 0.8 makes 39 of them differ, give or take 6; 0.9 makes 27.
 SURE, MAYBE = 20, 54
-#: Links that each member of a bucket proposes, besides a spanning forest.
+#: Links that each member of a bucket proposes at first, besides a spanning forest.
 NEAREST = 2
+#: Members of a bucket that are dealt to a task together when all its pairs are settled.
+BLOCK = 512
 #: Hot buckets are joined by broadcast up to so many, else by a shuffle.
 FEW = 10_000
 _SIG = ["s0", "s1", "s2", "s3"]
+_PROPOSED = ["a", "b", "d", "g"]
 _SALTS = np.random.default_rng(8).integers(1, 2**63, 4, np.uint64)
 
 
@@ -102,18 +106,22 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _link_group(rep: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: a minimum spanning forest of its distances up to MAYBE, and each member's NEAREST others: a few links a member, not all pairs."""
+def _link_group(rep: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: a minimum spanning forest of its distances up to MAYBE, and each member's NEAREST others: a few links a member, not all pairs.
+
+    Last, the members with more others up to MAYBE: both members of any pair that isn't proposed are among them.
+    """
     n = len(rep)
     far = MAYBE + 1
     gap, parent, waiting = np.full(n, far), np.full(n, -1), np.ones(n, bool)
-    i, edges = 0, []
+    i, edges, crowded = 0, [], np.zeros(n, bool)
     for _ in range(n):
         waiting[i] = False
         d = _apart(sig, sig[i])
         d[i] = far
         near = np.argpartition(d, NEAREST)[:NEAREST] if n > NEAREST else np.arange(n)
         edges += [(i, int(j), int(d[j])) for j in near if d[j] <= MAYBE]
+        crowded[i] = np.count_nonzero(d <= MAYBE) > NEAREST
         closer = waiting & (d < gap)
         gap[closer], parent[closer] = d[closer], i
         left = np.flatnonzero(waiting)
@@ -123,19 +131,41 @@ def _link_group(rep: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if gap[i] <= MAYBE:
             edges.append((i, int(parent[i]), int(gap[i])))
     x = np.array(edges, np.int64).reshape(-1, 3)
-    return rep[x[:, 0]], rep[x[:, 1]], x[:, 2]
+    return rep[x[:, 0]], rep[x[:, 1]], x[:, 2], rep[crowded]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, of rows sorted by their first column. Holds one group beyond a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[batch.num_rows - 1].as_py()
+        held.append(batch)
+        if last == held[0].column(0)[0].as_py():
+            continue  # still the same group
+        t = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(t.column(0).to_numpy(), last))
+        yield t.slice(0, cut)
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its length."""
+    begin = np.flatnonzero(np.diff(g, prepend=g[0] - 1)) if len(g) else np.empty(0, np.int64)
+    return begin, np.diff(np.append(begin, len(g)))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, rep, signature) come sorted by g. Holds one bucket beyond a batch."""
-    names = ["g", "rep", *_SIG]
+    """Rows (g, rep, signature) come sorted by g. Gives pairs (a, b, d), and (a, g) for the crowded members of a bucket."""
     small = 8
 
     def run(g: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        begin = np.flatnonzero(np.diff(g, prepend=g[0] - 1)) if len(g) else np.empty(0, np.int64)
-        n = np.diff(np.append(begin, len(g)))
+        begin, n = _starts(g)
         size = np.repeat(n, n)
-        found = []
+        found, crowded = [], []
         for step in range(1, small):
             i = np.flatnonzero((g[:-step] == g[step:]) & (size[:-step] <= small)) if len(g) > step else ()
             if len(i):
@@ -145,28 +175,68 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, k in zip(begin[n > small], n[n > small], strict=True):
             for c in range(at, at + k, 8 * CAP):  # larger only where all sampled bits agree; the bucket's first member then ties its parts
                 part = slice(c, min(c + 8 * CAP, at + k))
-                found.append(_link_group(rep[part], sig[part]))
+                *links, more = _link_group(rep[part], sig[part])
+                found.append(links)
+                crowded.append((more, np.full(len(more), g[at])))
         if found:
             a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d), pa.nulls(len(a), pa.int64())], _PROPOSED)
+        if crowded:
+            a, at = (np.concatenate(x) for x in zip(*crowded, strict=True))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), none, none, pa.array(at)], _PROPOSED)
+
+    for t in _whole(batches):
+        cols = [t.column(x).to_numpy() for x in ("g", "rep", *_SIG)]
+        yield from run(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64))
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+
+def _settle(part: np.ndarray, inner: bool, rep: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: pa.ListArray) -> list[tuple[int, int]]:
+    """The links that join the components of some members: every pair up to MAYBE is verified unless its members are in one by then.
+
+    Where not inner, only pairs of different parts: those of one part are compared elsewhere.
+    """
+    own = np.unique(root, return_inverse=True)[1]
+    size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.append(0, np.cumsum(size))
+    word, links = None, []
+    for i in range(len(rep) - 1):
+        j = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & (inner | (part[i + 1 :] != part[i])))
+        if not len(j):
             continue
-        g = batch.column(0).to_numpy()
-        held.append(batch)
-        if g[-1] == held[0].column(0)[0].as_py():
-            continue  # still the same bucket
-        t = pa.Table.from_batches(held)
-        cols = [t.column(x).to_numpy() for x in names]
-        cut = int(np.searchsorted(cols[0], g[-1]))
-        yield from run(cols[0][:cut], cols[1][:cut], np.stack([c[:cut] for c in cols[2:]], 1).view(np.uint64))
-        held = t.slice(cut).combine_chunks().to_batches()
-    if held:
-        t = pa.Table.from_batches(held)
-        cols = [t.column(x).to_numpy() for x in names]
-        yield from run(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64))
+        d = _apart(sig[j], sig[i])
+        j, d = j[d <= MAYBE], d[d <= MAYBE]
+        ok = d <= SURE
+        if not ok.all():
+            if word is None:
+                word = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+                mark = np.zeros(len(word) and word.max() + 1, bool)
+            mine = word[at[i] : at[i + 1]]
+            mark[mine] = True
+            rows = np.concatenate([word[at[k] : at[k + 1]] for k in j])
+            both = np.add.reduceat(mark[rows], np.append(0, np.cumsum(size[j]))[:-1], dtype=np.int64)
+            mark[mine] = False
+            ok |= both >= SIMILARITY * (size[i] + size[j] - both)
+        for k in j[ok]:
+            if own[k] != own[i]:
+                links.append((int(rep[i]), int(rep[k])))
+                own[own == own[k]] = own[i]
+    return links
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (unit, part, inner, rep, root, signature, shingles) come sorted by unit."""
+    for t in _whole(batches):
+        unit, part, inner, rep, root, *sig = (t.column(x).to_numpy() for x in ("unit", "part", "inner", "rep", "root", *_SIG))
+        sig = np.stack(sig, 1).view(np.uint64)
+        sets = t.column("shingles").combine_chunks()
+        links = []
+        for at, k in zip(*_starts(unit), strict=True):
+            x = slice(at, at + k)
+            links += _settle(part[x], bool(inner[at]), rep[x], root[x], sig[x], sets[x])
+        if links:
+            a, b = np.array(links, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _distance(x: list[Column], y: list[Column]) -> Column:
@@ -180,8 +250,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """a < b and d: pairs of representatives up to MAYBE bits apart, a number of them that follows the rows'. signed: rep and signature."""
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b and d: pairs of representatives up to MAYBE bits apart, a number of them that follows the rows'. signed: rep and signature.
+
+    Second, g and rep: the members of each bucket between which there may be further such pairs.
+    """
     rows = signed.select("rep", *_SIG).mapInArrow(_bucketed, "bucket bigint, more bigint, rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     hot = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > CAP))
     few = hot.limit(FEW + 1).count() <= FEW
@@ -192,24 +265,40 @@ def candidates(signed: DataFrame) -> DataFrame:
     cut = F.coalesce(F.expr(f"shiftright(more, {MORE_BITS} - extra)"), F.lit(0))
     g = F.expr(f"shiftleft(bucket, {MORE_BITS})") + cut
     grouped = marked.select(g.alias("g"), "rep", *_SIG).repartition("g").sortWithinPartitions("g")
-    inside = grouped.mapInArrow(_linked, "a bigint, b bigint, d bigint")
+    found = written(grouped.mapInArrow(_linked, ", ".join(f"{c} bigint" for c in _PROPOSED)), "proposed")
+    inside = found.where("b IS NOT NULL").select("a", "b", "d")
 
     own = rows.join(near(hot), "bucket", "left_semi")
     pivot = own.groupBy("bucket").agg(F.min(F.struct("rep", *_SIG)).alias("p"))
     held = own.join(near(pivot), "bucket").where(F.col("rep") != F.col("p.rep"))
     held = held.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), _distance([F.col(x) for x in _SIG], [F.col(f"p.{x}") for x in _SIG]).cast("bigint").alias("d")).where(F.col("d") <= MAYBE)
-    return inside.unionByName(held).groupBy("a", "b").agg(F.min("d").alias("d"))
+    return inside.unionByName(held).groupBy("a", "b").agg(F.min("d").alias("d")), found.where("b IS NULL").select("g", F.col("a").alias("rep"))
+
+
+def unsettled(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (unit, part, inner, rep, root) of the buckets with several components: each pair of a bucket's members meets in one unit.
+
+    A bucket is dealt in parts of about BLOCK members, and every two parts are a unit, so a large one isn't compared in one task.
+    """
+    rooted = crowded.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left").select("g", "rep", F.coalesce("root", "rep").alias("root"))
+    several = rooted.groupBy("g").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rooted.join(several.select("g", parts.alias("parts")), "g").withColumn("part", F.expr("pmod(xxhash64(rep), parts)").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    unit = F.xxhash64("g", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.select(unit.alias("unit"), "part", (F.col("part") == F.col("other")).alias("inner"), "rep", "root")
 
 
-def roots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """id and root of every representative that is linked. texts: id and x, the text of each representative.
+def roots(pairs: DataFrame, crowded: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and root of every representative that is linked. reps: rep and signature. texts: id and x, the text of each representative.
 
     Of the pairs that aren't sure, each member's closest is verified first. The others need it only where that hasn't made
-    one class of their members, so the texts of a large group are hardly compared beyond its first links.
+    one class of their members, so the texts of a large group are hardly compared beyond its first links. At last the
+    crowded members of a bucket that are still in different classes are compared, all pairs.
     """
     pairs = written(pairs.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))), "pairs")
     unsure = pairs.where(F.col("d") > SURE)
-    named = unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = unsure.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select(F.col("rep").alias("id"))).distinct()
     sets = written(texts.join(named.hint("merge"), "id", "left_semi").select("id", "x").dropDuplicates(["id"]).mapInArrow(_sets, "id bigint, shingles array<int>"), "shingles")
     both = F.size(F.array_intersect("of_a", "of_b"))
     similar = both >= SIMILARITY * (F.size("of_a") + F.size("of_b") - both)
@@ -223,7 +312,13 @@ def roots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of = [found.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab"]
     apart = unsure.where("k > 1").join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = written(verified(apart), "links")
-    return found if more.isEmpty() else components(links.unionByName(more))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
+    rows = unsettled(crowded, found).join(reps.select("rep", *_SIG), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    dealt = rows.select("unit", "part", "inner", "rep", "root", *_SIG, "shingles").repartition("unit").sortWithinPartitions("unit")
+    rest = written(dealt.mapInArrow(_settled, "a bigint, b bigint").distinct(), "links")
+    return found if rest.isEmpty() else components(links.unionByName(rest))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,7 +333,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     with_text = signed.where("n >= 0 AND key IS NOT NULL")
     reps = checkpointed(with_text.groupBy("n", "e0", "e1").agg(F.min("key").alias("rep"), *(F.first(s).alias(s) for s in _SIG)))
     members = with_text.select("key", "n", "e0", "e1").join(reps.select("n", "e0", "e1", "rep"), ["n", "e0", "e1"]).select("key", "rep")
-    near = roots(candidates(reps.where("n > 0")), rows.select(F.col("key").alias("id"), "x"))
+    worded = reps.where("n > 0")
+    near = roots(*candidates(worded), worded, rows.select(F.col("key").alias("id"), "x"))
     of = members.groupBy("key").agg(F.min("rep").alias("rep"))
     of = of.join(near.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("root", "rep").alias("class_id"))
     return signed.join(of, F.col("key") == F.col("k"), "left").select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.greatest("n", F.lit(0).cast("long")).alias("n_shingles"))

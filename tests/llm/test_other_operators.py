@@ -175,6 +175,54 @@ def test_near_duplicates_of_a_hot_group(spark, monkeypatch):
     assert {got[k] for k in range(400)} == {0} and all(got[1000 + k] == 1000 + k for k in range(50))
 
 
+def linked_in_buckets(docs, cap=1024):
+    """Classes by every pair that shares a bucket (none over cap) up to MAYBE bits apart and is sure or similar enough."""
+    sets = simhash.shingle_sets([t for _, t in docs])
+    sig = np.stack([simhash.signature(s) for s in sets])
+    bits = np.unpackbits(sig.view(np.uint8), axis=1)
+    n, words = len(docs), [set(s.tolist()) for s in sets]
+    near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=-1)
+    shared = np.zeros((n, n), bool)
+    for places in simhash._sampled():
+        b = bits[:, places[: simhash.FIRST_BITS]] @ (1 << np.arange(simhash.FIRST_BITS))
+        same = b[:, None] == b[None]
+        assert same.sum(axis=1).max() <= cap
+        shared |= same
+    own = np.arange(n)
+    for i, j in zip(*np.nonzero(np.triu(shared & (near <= simhash.MAYBE), 1)), strict=True):
+        both = len(words[i] & words[j])
+        if own[i] != own[j] and (near[i, j] <= simhash.SURE or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)):
+            x, y = sorted((own[i], own[j]))
+            own[own == y] = x
+    return {k: docs[own[i]][0] for i, (k, _) in enumerate(docs)}
+
+
+def similar_family(pairs=60, others=600, seed=5):
+    """Texts of one template, about 0.75 alike, and pairs among them that are about 0.82 alike."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(1000)]
+
+    def edited(words, n, mark):
+        out = list(words)
+        for j, p in enumerate(rng.choice(len(out) // 5, n, replace=False)):
+            out[5 * p] = f"{mark}x{j}"
+        return out
+
+    texts = [edited(base, 15, f"o{k}") for k in range(others)]
+    for k in range(pairs):
+        one = edited(base, 15, f"p{k}")
+        texts += [one, edited(one, 20, f"q{k}")]
+    return [(int(k), " ".join(texts[i])) for k, i in enumerate(rng.permutation(len(texts)))]
+
+
+def test_near_duplicates_among_merely_similar_texts(spark):
+    docs = similar_family()
+    want = linked_in_buckets(docs)
+    assert len(set(want.values())) > 500 and sum(k != v for k, v in want.items()) > 30
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.class_id) for r in simhash.classes(df).collect()), key=str)
