@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -158,8 +159,11 @@ def _starts(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(g)))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, rep, signature) come sorted by g. Gives pairs (a, b, d), and (a, g) for the crowded members of a bucket."""
+def _linked(batches: Iterator[pa.RecordBatch], most: int = 8 * CAP) -> Iterator[pa.RecordBatch]:
+    """Rows (g, rep, signature) come sorted by g. Gives pairs (a, b, d), and (a, g) for the crowded members of a bucket.
+
+    A bucket of over `most` is linked in slices at first, and all its members count as crowded.
+    """
     small = 8
 
     def run(g: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -173,9 +177,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = d <= MAYBE
                 found.append((rep[i[near]], rep[i[near] + step], d[near]))
         for at, k in zip(begin[n > small], n[n > small], strict=True):
-            for c in range(at, at + k, 8 * CAP):  # larger only where all sampled bits agree; the bucket's first member then ties its parts
-                part = slice(c, min(c + 8 * CAP, at + k))
+            for c in range(at, at + k, most):
+                part = slice(c, min(c + most, at + k))
                 *links, more = _link_group(rep[part], sig[part])
+                if k > most:
+                    more = rep[part]  # the others of a pair may be in another slice
                 found.append(links)
                 crowded.append((more, np.full(len(more), g[at])))
         if found:
@@ -265,7 +271,7 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = F.coalesce(F.expr(f"shiftright(more, {MORE_BITS} - extra)"), F.lit(0))
     g = F.expr(f"shiftleft(bucket, {MORE_BITS})") + cut
     grouped = marked.select(g.alias("g"), "rep", *_SIG).repartition("g").sortWithinPartitions("g")
-    found = written(grouped.mapInArrow(_linked, ", ".join(f"{c} bigint" for c in _PROPOSED)), "proposed")
+    found = written(grouped.mapInArrow(partial(_linked, most=8 * CAP), ", ".join(f"{c} bigint" for c in _PROPOSED)), "proposed")
     inside = found.where("b IS NOT NULL").select("a", "b", "d")
 
     own = rows.join(near(hot), "bucket", "left_semi")

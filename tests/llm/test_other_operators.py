@@ -4,6 +4,7 @@ import hashlib
 import io
 import struct
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -223,6 +224,21 @@ def test_near_duplicates_among_merely_similar_texts(spark):
     assert got == want
 
 
+def test_near_duplicates_across_slices_of_a_bucket(spark):
+    rng = np.random.default_rng(6)
+    sig = np.tile(rng.integers(0, 2, 256).astype(np.uint8), (36, 1))
+    for k in range(1, 36):  # a chain: each is sure to be alike to the last, and less alike to those before
+        sig[k] = sig[k - 1]
+        sig[k, rng.choice(256, 18, replace=False)] ^= 1
+    words = np.packbits(sig, axis=1).view(np.int64).tolist()
+    order = [*range(0, 36, 2), *range(1, 36, 2)]  # neighbours of the chain come in different slices
+    reps = spark.createDataFrame([(0, k, *words[k]) for k in order], "g bigint, rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint").coalesce(1)
+    found = reps.mapInArrow(partial(simhash._linked, most=8), ", ".join(f"{c} bigint" for c in simhash._PROPOSED)).cache()
+    texts = spark.createDataFrame([(k, f"own{k} words{k}") for k in order], "id bigint, x string")
+    got = simhash.roots(found.where("b IS NOT NULL").select("a", "b", "d"), found.where("b IS NULL").selectExpr("g", "a AS rep"), reps, texts)
+    assert {r.id: r.root for r in got.collect()} == dict.fromkeys(range(36), 0)
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.class_id) for r in simhash.classes(df).collect()), key=str)
