@@ -333,11 +333,16 @@ def _store(spark: SparkSession, d: str, name: str, condition: str | None = None)
     return t
 
 
+def inserted_halves(spark: SparkSession, d: str) -> Table:
+    """All orders in a new store: one half to begin with, the other inserted."""
+    t = _store(spark, d, "orders", "o_orderkey % 2 = 0")
+    t.insert(table(spark, d, "orders").df().where("o_orderkey % 2 != 0"))
+    return t
+
+
 @query("SELECT * FROM orders WHERE o_custkey < 200")
 def insert_then_scan(spark, d):
-    t = _store(spark, d, "orders", "o_custkey < 100")
-    t.insert(table(spark, d, "orders").df().where("o_custkey >= 100 AND o_custkey < 200"))
-    return t.scan()
+    return inserted_halves(spark, d).scan().where("o_custkey < 200")
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 2.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from keyloom import queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,3 +39,11 @@ def test_core_queries(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert {"scan_primary", "upsert_fold"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_insert_of_a_whole_table(spark):
+    same(spark, "insert_then_scan")
+    orders = spark.read.parquet(f"{DIR}/orders.parquet")
+    got = queries.inserted_halves(spark, DIR).scan().select(*orders.columns)
+    assert got.count() == orders.count() and got.exceptAll(orders).isEmpty()
