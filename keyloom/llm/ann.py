@@ -168,8 +168,8 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     queries = points.join(asking.select("point").distinct(), "point", "left_semi").select("point", F.array().cast("array<bigint>").alias("ids"), "v")
 
     have = checkpointed(_keyed(points.select("point", "ids", "v"), curves, False))
-    # with few points fewer ranges, so that three of them always hold TOP others
-    blocks = max(1, min(BLOCKS, points.count() // (4 * TOP)))
+    # a range holds TOP + 1 points at least, so that a query always sees TOP others, or all there are
+    blocks = max(1, min(BLOCKS, points.count() // (TOP + 1)))
     cuts = {r.tab: r.q for r in have.groupBy("tab").agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)] or [0.0], 10_000).alias("q")).collect()}
     bounds = lookup_array([cuts[t] if blocks > 1 else [] for t in range(TABLES)], "array<array<bigint>>")
     block = F.size(F.filter(F.get(bounds, F.col("tab")), lambda c: c <= F.col("key")))
