@@ -37,3 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Removes the table that written() made for df, once nothing is to be read of it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def free_name(taken: list[str], like: str) -> str:
+    """A column name that none of the taken ones equals, whatever their case."""
+    known = {c.lower() for c in taken}
+    name = f"__{like}"
+    while name.lower() in known:
+        name += "_"
+    return name
