@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLOTS = 4096
-#: A slot with over 1/HOT of all bytes holds a hot group of equal texts; its rows are hashed again by their ids.
-HOT = 256
 
 
 @dataclass(frozen=True)
@@ -105,18 +103,22 @@ def shard(docs: DataFrame, shards: int, folder: str, key: str = "doc_id", text:
     slot (the row's place in its shard, gapless from 0), grown_shard (null: this law moves rows between old shards),
     virtual_slot and map_version. Both map versions, before and after rebalancing, are saved under `folder`.
 
-    Equal texts share a virtual slot, hence a shard, unless their slot is hot (see HOT): those rows are spread by key.
-    Rows that agree in key and text always share a virtual slot. Null keys are hashed as such. An empty table gives none.
+    Equal texts share a virtual slot, hence a shard. The one exception are rows of a text that together have more bytes
+    than a shard's even part, so that no shard could hold them: they, and no other rows of their slot, are dealt to the
+    virtual slots by their keys. Rows that agree in key and text always share a virtual slot. Null keys are hashed as
+    such; a null and an empty text are one. A text may be of any length. An empty table gives none.
     """
     spark = docs.sparkSession
     x = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), (F.octet_length(x) + 1).cast("long").alias("size"), F.crc32(x).alias("text_crc32"), F.xxhash64(x).alias("h"))
     by_text = F.pmod(F.col("h"), F.lit(SLOTS)).cast("int")
     load, count = slot_loads(rows, by_text, "size")
-    hot = [s for s in range(SLOTS) if load[s] * HOT > sum(load)]
+    full = [s for s in range(SLOTS) if load[s] * shards > sum(load)]  # fewer than shards
     virtual = by_text
-    if hot:
-        virtual = F.when(by_text.isin(hot), F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col("h")), F.lit(SLOTS)).cast("int")).otherwise(by_text)
+    if full:
+        by_h = rows.where(by_text.isin(full)).groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        hot = [r.h for r in by_h.where((F.col("b") * shards > sum(load)) & (F.col("n") > 1)).collect()]
+        virtual = F.when(F.col("h").isin(hot), F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col("h")), F.lit(SLOTS)).cast("int")).otherwise(by_text)
         load, count = slot_loads(rows, virtual, "size")
     before = SlotMap.first(shards)
     before.save(spark, folder)
