@@ -136,7 +136,7 @@ k AS (SELECT text, i, concat_ws('|', n, j, CASE WHEN n < 9 THEN array_to_string(
         ELSE array_to_string(list_concat(w[1:3 + j * d], w[CASE WHEN j = 2 THEN n ELSE 3 + (j + 1) * d END + 1:]), ' ') END) AS key
       FROM (SELECT *, unnest(CASE WHEN n < 9 THEN [0] ELSE [0, 1, 2] END) AS j FROM u)),
 f AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text),
-c AS (SELECT key, arg_min(text, doc_id) AS keeper FROM (SELECT DISTINCT key, text FROM k) JOIN f USING (text) GROUP BY key HAVING count(*) >= 3),
+c AS (SELECT key, arg_min(text, doc_id) AS keeper FROM (SELECT DISTINCT key, text FROM k) JOIN f USING (text) GROUP BY key HAVING count(*) >= CASE WHEN CAST(split_part(key, '|', 1) AS BIGINT) >= 50 THEN 2 ELSE 3 END),
 g AS (SELECT DISTINCT text, i FROM k JOIN c USING (key) WHERE text <> keeper),
 o AS (SELECT text, array_to_string(list(x ORDER BY i), chr(10)) AS kept FROM l ANTI JOIN g USING (text, i) GROUP BY text),
 n AS (SELECT text, count(*) AS n FROM g GROUP BY text)
