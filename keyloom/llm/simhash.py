@@ -1,9 +1,11 @@
 """SimHash near-duplicates by random bit sampling.
 
 Every text becomes the set of its five-word shingles and that a signature of 256 bits. Equal sets are collapsed first.
-Each of TABLES tables groups the remaining signatures by 16 sampled coordinates; a bucket of over CAP members is cut by
-additional sampled bits, as many as its size asks for, and all its members are also held against its first one, so a
-large group of near copies stays together. Inside a bucket signatures are compared, and its closest pairs proposed: up to
+Several tables group the remaining signatures by sampled coordinates: so many that AVERAGE unrelated texts share a bucket,
+and so many tables that a pair at the threshold meets in one of them with a chance of RECALL, whatever the corpus's size
+(see layout()). A bucket of over CAP members is cut by additional bits, as many as its size asks for, in as many ways as
+RECALL asks for, and all its members are also held against its first one, so a large group of near copies stays
+together. Inside a bucket signatures are compared, and its closest pairs proposed: up to
 SURE bits apart they are linked; up to MAYBE the link is kept if the shingle sets themselves, read again, are similar
 enough. Then every other pair of a bucket up to MAYBE is settled too whose members aren't yet in one component, so that
 none is lost because closer pairs failed. Classes are the connected components of the links.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import checkpointed, written
+from ._shared import checkpointed, free_name, written
 from ._text import mix64, word_hashes
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-TABLES, FIRST_BITS, MORE_BITS, CAP = 32, 16, 24, 1024
 #: Of 256 bits. A similarity of 0.8 makes 39 of them differ, give or take 6; 0.9 makes 27.
-SURE, MAYBE = 20, 54
+SURE, EXPECTED, MAYBE = 20, 39, 54
+#: Members that an average bucket of unrelated texts has, and the chance that EXPECTED bits apart share one of the tables' buckets.
+AVERAGE, RECALL = 64, 0.97
+#: Bits that a table samples, at least and at most, members beyond which a bucket is cut, and bits that cut it at most.
+LEAST_BITS, MOST_BITS, CAP, MORE_BITS = 8, 40, 1024, 16
 #: Links that each member of a bucket proposes at first, besides a spanning forest.
 NEAREST = 2
 #: Members of a bucket that are dealt to a task together when all its pairs are settled.
@@ -40,9 +46,20 @@ _PROPOSED = ["a", "b", "d", "g"]
 _SALTS = np.random.default_rng(8).integers(1, 2**63, 4, np.uint64)
 
 
-def _sampled() -> np.ndarray:
+def repeats(bits: int) -> int:
+    """How often so many bits must be sampled for RECALL."""
+    return ceil(log(1 - RECALL) / log(1 - (1 - EXPECTED / 256) ** bits))
+
+
+def layout(n: int) -> tuple[int, int]:
+    """The number of tables and of bits that each samples, for n signatures. The tables grow with n to the power of 0.24."""
+    bits = min(max(ceil(log2(max(n, 1) / AVERAGE)), LEAST_BITS), MOST_BITS)
+    return repeats(bits), bits
+
+
+def _sampled(tables: int, bits: int) -> np.ndarray:
     rng = np.random.default_rng(88)
-    return np.stack([rng.permutation(256)[: FIRST_BITS + MORE_BITS] for _ in range(TABLES)])
+    return np.stack([rng.permutation(256)[:bits] for _ in range(tables)])
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -91,16 +108,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "n", "e0", "e1", *_SIG])
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table: bucket (table and first bits), more (the additional bits), rep and its signature."""
-    places = _sampled()
-    first, more = (1 << np.arange(n)[::-1].astype(np.int64) for n in (FIRST_BITS, MORE_BITS))
+def _bucketed(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for each table: bucket (table and sampled bits), rep and its signature."""
+    places = _sampled(tables, bits)
+    first = 1 << np.arange(bits).astype(np.int64)
     for part in _slices(batches, 2048):
         sig = np.stack([part.column(1 + k).to_numpy() for k in range(4)], 1)
-        bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
-        for t in range(TABLES):
-            b = bits[:, places[t]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((t << FIRST_BITS) + b[:, :FIRST_BITS] @ first), pa.array(b[:, FIRST_BITS:] @ more), *part.columns], ["bucket", "more", "rep", *_SIG])
+        unpacked = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+        for t in range(tables):
+            yield pa.RecordBatch.from_arrays([pa.array((t << bits) + unpacked[:, places[t]].astype(np.int64) @ first), *part.columns], ["bucket", "rep", *_SIG])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,15 +277,19 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Second, g and rep: the members of each bucket between which there may be further such pairs.
     """
-    rows = signed.select("rep", *_SIG).mapInArrow(_bucketed, "bucket bigint, more bigint, rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    tables, bits = layout(signed.count())
+    rows = signed.select("rep", *_SIG).mapInArrow(partial(_bucketed, tables=tables, bits=bits), "bucket bigint, rep bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     hot = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > CAP))
     few = hot.limit(FEW + 1).count() <= FEW
     near = F.broadcast if few else (lambda df: df)
-    # so many more bits that a bucket of unrelated members would fall to an eighth of CAP
-    extra = F.least(F.lit(MORE_BITS), F.ceil(F.log2(F.col("size") / CAP)).cast("int") + 3)
-    marked = rows.join(near(hot.withColumn("extra", extra)), "bucket", "left")
-    cut = F.coalesce(F.expr(f"shiftright(more, {MORE_BITS} - extra)"), F.lit(0))
-    g = F.expr(f"shiftleft(bucket, {MORE_BITS})") + cut
+    # so many more bits that a bucket of unrelated members would fall to half of CAP; each way takes them elsewhere in the signature
+    extra = F.least(F.lit(MORE_BITS), F.ceil(F.log2(F.col("size") / CAP)).cast("int") + 1)
+    ways = F.get(F.array(*(F.lit(1 if not k else repeats(k)) for k in range(MORE_BITS + 1))), F.coalesce("extra", F.lit(0)))
+    marked = rows.join(near(hot.withColumn("extra", extra)), "bucket", "left").withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    at = F.expr("cast(pmod(way div 4 * extra, 65 - extra) AS int)")
+    word = F.get(F.array(*_SIG), F.expr("way % 4"))
+    cut = F.call_function("shiftrightunsigned", word, at).bitwiseAND(F.expr("shiftleft(1L, extra) - 1"))
+    g = F.when(F.col("extra").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "way", cut))
     grouped = marked.select(g.alias("g"), "rep", *_SIG).repartition("g").sortWithinPartitions("g")
     found = written(grouped.mapInArrow(partial(_linked, most=8 * CAP), ", ".join(f"{c} bigint" for c in _PROPOSED)), "proposed")
     inside = found.where("b IS NOT NULL").select("a", "b", "d")
@@ -347,6 +367,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose key is its class's smallest; rows with a null key stay."""
-    gone = classes(docs, key, text).where("class_id != " + key).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """One row of each class, with all columns: that with its smallest key.
+
+    Rows with a null key stay, as do rows with null texts and different keys. Of rows that agree in key and text one stays;
+    which, if other columns differ, isn't defined. Rows of one key with different texts share their class's fate.
+    """
+    named = free_name(docs.columns, "gone")
+    gone = classes(docs, key, text).where(F.col("class_id") != F.col(key)).select(F.col(key).alias(named)).distinct()
+    kept = docs.join(gone, F.col(key) == F.col(named), "left_anti")
+    at, x = free_name(docs.columns, "key"), free_name(docs.columns, "text")
+    same = docs.where(F.col(key).isNotNull()).select(F.col(key).alias(at), F.xxhash64(text).alias(x))
+    again = written(same.groupBy(at, x).agg(F.count("*").alias("n")).where("n > 1").select(at, x), "repeated")
+    if again.isEmpty():
+        return kept
+    repeated = (F.col(key) == F.col(at)) & (F.xxhash64(text) == F.col(x))
+    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated).dropDuplicates([at, x]).select(*(F.col(f"`{c}`") for c in docs.columns)))

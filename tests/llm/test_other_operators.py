@@ -3,6 +3,7 @@
 import hashlib
 import io
 import struct
+import zlib
 from collections import defaultdict
 from functools import partial
 
@@ -81,12 +82,29 @@ def test_sharding(spark):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     first, last = sharding.SlotMap.load(spark, folder, 1), sharding.SlotMap.load(spark, folder)
     assert (first.version, last.version) == (1, 2) and first == sharding.SlotMap.first(8)
+    equal = defaultdict(set)
+    for r in rows:
+        equal[r.size, r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in equal.values()) == 1  # the text that fills more than a shard
     again = {(r.doc_id, r.text_crc32): r.shard for r in sharding.shard(spark.createDataFrame(docs[::-1], "doc_id bigint, text string"), 8, fresh_path(spark, "slots")).collect()}
     assert all(again[r.doc_id, r.text_crc32] == r.shard for r in rows)
     none = sharding.shard(spark.createDataFrame([], "doc_id bigint, text string"), 8, fresh_path(spark, "slots"))
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 1000])
+def test_equal_texts_share_a_shard(spark, n):
+    rng = np.random.default_rng(n)
+    docs = [(k, "word " * int(rng.integers(0, 50)) + str(int(rng.integers(0, n // 3)))) for k in range(n)] + [(5000, "x" * 3_000_000), (5001, None), (5002, "")]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("h", F.lit(1)), 8, fresh_path(spark, "slots")).collect()
+    shards, text = defaultdict(set), dict(docs)
+    for r in rows:
+        raw = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        shards[raw].add(r.shard)
+    assert len(rows) == len(docs) and all(len(s) == 1 for s in shards.values())
+
+
 def test_rebalancing_edits_the_map():
     rng = np.random.default_rng(0)
     load = rng.integers(0, 1000, sharding.SLOTS).tolist()
@@ -184,8 +202,8 @@ def linked_in_buckets(docs, cap=1024):
     n, words = len(docs), [set(s.tolist()) for s in sets]
     near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=-1)
     shared = np.zeros((n, n), bool)
-    for places in simhash._sampled():
-        b = bits[:, places[: simhash.FIRST_BITS]] @ (1 << np.arange(simhash.FIRST_BITS))
+    for places in simhash._sampled(*simhash.layout(n)):
+        b = bits[:, places] @ (1 << np.arange(len(places)))
         same = b[:, None] == b[None]
         assert same.sum(axis=1).max() <= cap
         shared |= same
@@ -243,10 +261,48 @@ def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.class_id) for r in simhash.classes(df).collect()), key=str)
     assert got == [(1, 1), (1, 1), (2, 1), (None, None)]
-    assert simhash.keep_one(df).count() == 3
+    kept = simhash.keep_one(df.selectExpr("*", "1 AS __gone", "2 AS __key", "text AS `__Text`"))
+    assert kept.columns == ["doc_id", "text", "__gone", "__key", "__Text"]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, None]
     assert simhash.classes(df.where("false")).count() == 0
 
 
+def close_pairs(pairs=300, least=0.8, most=0.85, seed=12):
+    """Pairs of texts that are `least` to `most` alike, and otherwise unlike any other."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for k in range(pairs):
+        while True:
+            words = [f"p{k}w{j}" for j in range(200)]
+            other = list(words)
+            for j, p in enumerate(rng.choice(200, int(rng.integers(3, 6)), replace=False)):
+                other[int(p)] = f"e{k}x{j}"
+            a, b = simhash.shingle_sets([" ".join(words), " ".join(other)])
+            both = len(np.intersect1d(a, b))
+            if least <= both / (len(a) + len(b) - both) < most:
+                break
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    return docs
+
+
+@pytest.mark.parametrize("texts", [600, 2_000_000, 16_000_000])
+def test_recall_near_the_threshold(spark, monkeypatch, texts):
+    """Also with the tables and bits of so many texts."""
+    layout = simhash.layout(texts)
+    if texts > 600:
+        assert layout[1] > 14
+        monkeypatch.setattr(simhash, "layout", lambda n: layout)
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(close_pairs(), "doc_id bigint, text string")).collect()}
+    assert all(got[k] in (k, k - 1) for k in range(1, 600, 2)) and sum(got[k] == k - 1 for k in range(1, 600, 2)) >= 0.9 * 300
+
+
+def test_recall_in_cut_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CAP", 4)  # nearly all buckets are cut by more bits
+    monkeypatch.setattr(simhash, "LEAST_BITS", 2)
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(close_pairs(), "doc_id bigint, text string")).collect()}
+    assert sum(got[k] == k - 1 for k in range(1, 600, 2)) >= 0.9 * 300
+
+
 def test_components(spark):
     rng = np.random.default_rng(9)
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, int(x)) for x in rng.integers(200, 300, 50)] + [(5, 5), (1, None)]
