@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Pieces that a worker remembers between batches; beyond it, it forgets them all. Bounds memory only: results don't depend on it.
 REMEMBERED = 500_000
 #: New pieces replayed together at most.
-TOGETHER = 200_000
+TOGETHER = 50_000
 #: Code points beyond which a text isn't split all at once.
 LONG = 1 << 20
 
