@@ -32,21 +32,27 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _hash_chunk(joined: str) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash and the first code point's place of every word."""
+def _hash_chunk(joined: str, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hash and the first code point's place of every word, and the hashes of its first so many letters (0 where it has no more)."""
     cp = codes(joined)
     inside = _is_word()[cp]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     first = np.flatnonzero(edge == 1)
     if not len(first):
-        return np.empty(0, np.uint64), first
+        return np.empty(0, np.uint64), first, np.empty((len(stems), 0), np.uint64)
     n = np.flatnonzero(edge == -1) - first
     begin = np.cumsum(n) - n
     place = np.arange(int(n.sum())) - np.repeat(begin, n)
     c = (cp[inside].astype(np.uint64) + np.uint64(1)) * _M1
     c ^= c >> np.uint64(29)
     c *= _powers()[place & 255]
-    return mix64(np.add.reduceat(c, begin) + n.astype(np.uint64)), first
+    cut = np.zeros((len(stems), len(n)), np.uint64)
+    if stems:
+        upto = np.append(np.uint64(0), np.cumsum(c))
+        for k, m in enumerate(stems):
+            longer = np.flatnonzero(n > m)
+            cut[k, longer] = mix64(upto[begin[longer] + m] - upto[begin[longer]] + np.uint64(m << 32)) | np.uint64(1)
+    return mix64(np.add.reduceat(c, begin) + n.astype(np.uint64)), first, cut
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -62,7 +68,14 @@ def _pieces(text: str) -> Iterator[str]:
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of letters and digits, lower-cased); those of text i are at off[i]:off[i + 1]."""
+    h, off, _ = stem_hashes(texts, ())
+    return h, off
+
+
+def stem_hashes(texts: list[str | None], stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes() and, a row for each number in stems, the hashes of the words' first so many letters; 0 for words of no more."""
     out: list[np.ndarray] = []
+    cuts: list[np.ndarray] = [np.empty((len(stems), 0), np.uint64)]
     counts = np.zeros(len(texts), np.int64)
     held: list[str] = []
     size, since = 0, 0
@@ -70,10 +83,11 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     def flush(to: int) -> None:
         nonlocal held, size
         if held:
-            h, first = _hash_chunk("\n".join(held))
+            h, first, cut = _hash_chunk("\n".join(held), stems)
             starts = np.cumsum([0] + [len(t) + 1 for t in held])
             counts[since:to] = np.diff(np.searchsorted(first, starts))
             out.append(h)
+            cuts.append(cut)
             held, size = [], 0
 
     for i, t in enumerate(texts):
@@ -81,8 +95,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(t) > _CHUNK:
             flush(i)
             for piece in _pieces(t):
-                h, _ = _hash_chunk(piece)
+                h, _, cut = _hash_chunk(piece, stems)
                 out.append(h)
+                cuts.append(cut)
                 counts[i] += len(h)
             since = i + 1
             continue
@@ -92,7 +107,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         held.append(t)
         size += len(t) + 1
     flush(len(texts))
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)]), np.concatenate(cuts, 1)
 
 
 def segment_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
