@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SEQ = "__seq"
 #: Of a stored and a new row: the columns that change, as expressions. Or, for each column, "sum", "min", "max" or "replace".
+RULES = ("sum", "min", "max", "replace")
 OnConflict = Callable[[Column, Column], dict[str, Column]] | dict[str, str] | str
 
 
@@ -34,8 +35,13 @@ def upserted(base: DataFrame, rows: DataFrame, pk: list[str], on_conflict: OnCon
     is folded from the left over a key's rows in their order, which gathers them: it is for keys with a bounded number.
     """
     names = base.columns
-    if on_conflict == "replace":
-        return last_wins(rows, pk)
+    if isinstance(on_conflict, str):
+        on_conflict = dict.fromkeys((c for c in names if c not in pk), on_conflict)
+    if isinstance(on_conflict, dict):
+        if bad := {c: r for c, r in on_conflict.items() if c not in names or c in pk or r not in RULES}:
+            raise ValueError(f"no rules: {bad}; they are {RULES}, of columns outside the primary key")
+        if set(on_conflict.values()) <= {"replace"}:
+            return last_wins(rows, pk)
     old = base.join(rows.select(*pk).distinct(), pk, "left_semi")
     if isinstance(on_conflict, dict):
         both = old.select(*names).withColumn(SEQ, F.lit(-1).cast("long")).unionByName(rows.select(*names, F.col(SEQ).cast("long")))

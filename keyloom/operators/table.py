@@ -221,7 +221,8 @@ class Table:
 
     def unsafe_update(self, rows: Rows, old: Rows, batch: Batch | None = None) -> None:
         """As unsafe_insert(); old must have as many rows. Indexes here are derived, so the old rows aren't used."""
-        n, m = (x.count() if isinstance(x, DataFrame) else len(list(x)) for x in (rows, old))
+        rows, old = (x if isinstance(x, DataFrame) else list(x) for x in (rows, old))
+        n, m = (x.count() if isinstance(x, DataFrame) else len(x) for x in (rows, old))
         if n != m:
             raise ValueError("params need to be of equal size")
         self.unsafe_insert(rows, batch)

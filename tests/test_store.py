@@ -62,6 +62,9 @@ def test_upsert(table):
     assert rows(table)[2] == (3, "s", 1)
     with pytest.raises(ValueError):
         table.upsert([(1, "a", 1)], lambda old, new: {"id": new.id})
+    for wrong in ({"n": "summ"}, {"m": "sum"}, {"id": "sum"}, "summ"):
+        with pytest.raises(ValueError, match="no rules"):
+            table.upsert([(1, "a", 1)], wrong)
 
 
 def test_upsert_keeps_the_order_of_a_frame(spark, table):
@@ -78,6 +81,8 @@ def test_unsafe(table):
     assert rows(table)[1] == (2, "d", 4)
     with pytest.raises(ValueError):
         table.unsafe_update([(2, "d", 4)], [])
+    table.unsafe_update(iter([(2, "from an iterator", 5)]), iter([(2, "d", 4)]))
+    assert rows(table)[1] == (2, "from an iterator", 5)
 
 
 def test_reads(table):
