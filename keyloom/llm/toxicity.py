@@ -37,7 +37,7 @@ from ._shared import discarded, free_name, written
 from ._text import mix64, segment_sums, stem_hashes
 
 #: Numbers of first letters whose words share counts.
-STEMS = (6, 5, 4)
+STEMS = (5,)
 #: Labelled texts that a model is fitted on at most; beyond it, a sample of them by the hash of their keys.
 LABELLED = 200_000
 #: Twice the log-likelihood ratio that an expression must show at least: what chance exceeds once in 1000.
