@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .schema import PRIMARY, IndexDef, Part, Sort, TableDef, as_sort
 from .selector import SEGMENT, Point, Selector, compare, membership, select
+from .skip import skip
 
 Condition = Column | str | Callable[[DataFrame], Column]
 
@@ -86,11 +87,12 @@ class Query:
             found = self._after_sorted(found) if self._after is not None else found
         else:
             order = [s.flipped(self._reverse) for s in order]
-        found = found.orderBy(*(s.ordering() for s in order))
-        if self._offset:
-            found = found.offset(self._offset)
-        if self._limit:
-            found = found.limit(self._limit)
+        if self._offset and not self._limit:
+            found = skip(found, order, self._offset)
+        else:
+            found = found.orderBy(*(s.ordering() for s in order))
+            if self._limit:
+                found = found.offset(self._offset).limit(self._limit)
         return found.select(*(F.col(f"`{c}`") for c in names)) if found.columns != names else found
 
     def collect(self, batch: object | None = None) -> list:
